@@ -73,3 +73,40 @@ def p2_clean_text(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return remove_repeated_lines(docs, repeated_lines(docs)[1])
+
+
+@query()
+def p1_found(spark, sf_dir):
+    """Documents that are mainly not sentences, and what they are."""
+    from .quality import document_kinds
+
+    return document_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "kind_label")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query()
+def p1_statistics(spark, sf_dir):
+    """Every non-blank document's statistics beside what was recorded for it last, and its kind."""
+    from .quality import document_kinds, last_signal
+
+    kinds = document_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "kind_label"))
+    signal = last_signal(table(spark, sf_dir, "page_signal"))
+    return kinds.join(signal, "doc_id", "left")
+
+
+@query(
+    r"""SELECT doc_id, recorded_chars, recorded_words, recorded_bad_ratio,
+      CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), x -> x <> '')) AS INTEGER) AS words,
+      recorded_chars IS DISTINCT FROM length(text) AS stale
+    FROM documents LEFT JOIN (
+      SELECT doc_id, text_char_count AS recorded_chars, word_count AS recorded_words, bad_char_ratio AS recorded_bad_ratio FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY recorded_at DESC NULLS LAST, text_char_count DESC NULLS LAST, word_count DESC NULLS LAST, bad_char_ratio DESC NULLS LAST) AS rn
+        FROM page_signal WHERE doc_id IS NOT NULL) WHERE rn = 1) USING (doc_id)"""
+)
+def p1_signals(spark, sf_dir):
+    """Every document's counts beside the last recorded ones."""
+    from .quality import last_signal
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.size(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")).alias("words"))
+    docs = docs.withColumn("words", F.when(F.col("chars").isNotNull(), F.col("words")))
+    out = docs.join(last_signal(table(spark, sf_dir, "page_signal")), "doc_id", "left")
+    return out.select("doc_id", "recorded_chars", "recorded_words", "recorded_bad_ratio", "chars", "words", (~F.col("recorded_chars").eqNullSafe(F.col("chars"))).alias("stale"))
