@@ -95,7 +95,7 @@ def p1_statistics(spark, sf_dir):
 
 @query(
     r"""SELECT doc_id, recorded_chars, recorded_words, recorded_bad_ratio,
-      CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), x -> x <> '')) AS INTEGER) AS words,
+      CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS INTEGER) AS words,
       recorded_chars IS DISTINCT FROM length(text) AS stale
     FROM documents LEFT JOIN (
       SELECT doc_id, text_char_count AS recorded_chars, word_count AS recorded_words, bad_char_ratio AS recorded_bad_ratio FROM (

@@ -17,7 +17,7 @@ WORTH = 0.5
 NOISE = 0.05
 #: Gains that differ by this share are alike; the wider gap decides.
 NEAR = 0.05
-#: Where examples are few, one alone makes a rule if it lies this share of the column's range away from all other labels.
+#: Where growing finds no rule, one example alone makes one if it lies this share of the column's range away from all other labels.
 FAR = 0.25
 #: Splits tried before a label has no further rule.
 TRIES = 5
@@ -146,7 +146,7 @@ def learn(x: np.ndarray, labels: list[str], names: list[str], default: str, seed
                 good = _worth(rule, names, px, py)[0] > 0
                 worth, p = _worth(rule, names, x[idx], y)
                 good = good and worth >= WORTH and p >= support + 2 * (len(rule) - 1) - few
-            if few and not (rule and good):
+            if not (rule and good) and (few or failed == TRIES - 1):
                 rule = _outlier(x[idx], y, names, scale)
                 good = bool(rule)
             if not rule or not good:
