@@ -110,3 +110,108 @@ def p1_signals(spark, sf_dir):
     docs = docs.withColumn("words", F.when(F.col("chars").isNotNull(), F.col("words")))
     out = docs.join(last_signal(table(spark, sf_dir, "page_signal")), "doc_id", "left")
     return out.select("doc_id", "recorded_chars", "recorded_words", "recorded_bad_ratio", "chars", "words", (~F.col("recorded_chars").eqNullSafe(F.col("chars"))).alias("stale"))
+
+
+@query()
+def p7_ids(spark, sf_dir):
+    """The ids of every document's text."""
+    from .encoding import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p7_lengths(spark, sf_dir):
+    """Of each language mark: documents, tokens and characters."""
+    from .encoding import count_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    sizes = count_tokens(docs).join(docs.select("doc_id", "lang", F.length("text").alias("chars")), "doc_id")
+    return sizes.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"))
+
+
+def base_budget(spark, sf_dir) -> int:
+    """context_token_budget of the protocol `base`."""
+    return table(spark, sf_dir, "protocol_setting").where("protocol_id = 'base'").select("context_token_budget").first()[0]
+
+
+@query()
+def p8_found(spark, sf_dir):
+    """Documents that the packing had to divide."""
+    from .packing import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), base_budget(spark, sf_dir))
+    return packed.where("piece > 0").select("doc_id").distinct()
+
+
+@query()
+def p8_containers(spark, sf_dir):
+    """What each container holds."""
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), base_budget(spark, sf_dir))
+
+
+@query()
+def p8_fill(spark, sf_dir):
+    """Containers used, the fewest that could do, and the share of their space that is filled."""
+    from .packing import pack_documents
+
+    capacity = base_budget(spark, sf_dir)
+    packed = pack_documents(table(spark, sf_dir, "documents"), capacity)
+    used = packed.groupBy("shard", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("items"))
+    return used.agg(F.count("*").alias("containers"), F.ceil(F.sum("size") / capacity).alias("fewest"), (F.sum("size") / (F.count("*") * capacity)).alias("filled"), F.max("size").alias("fullest"))
+
+
+TOKENS = "list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+PAGES = f"""
+WITH p AS (
+  SELECT doc_id, page_number, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM extracted_page) WHERE rn = 1 AND text IS NOT NULL
+), s AS (
+  SELECT doc_id, page_number, text, len({TOKENS}) AS tokens,
+    list_max(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?;:])[ \\t\\v\\f]+', '\\1' || chr(10), 'g'), '[\\n\\r]+', chr(10), 'g'), chr(10)), lambda u: len(list_filter(string_split_regex(u, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')))) AS longest
+  FROM p
+)"""
+
+
+@query(
+    PAGES
+    + """ SELECT protocol_id, doc_id, page_number, 'oversized' AS issue FROM s, protocol_setting WHERE tokens > chunk_token_size
+    UNION ALL SELECT protocol_id, doc_id, page_number, 'no_boundary' AS issue FROM s, protocol_setting WHERE longest > chunk_token_size"""
+)
+def p5_found(spark, sf_dir):
+    """Pages above a protocol's size, and those that can't be cut at boundaries alone."""
+    from .splitting import latest_pages, settings_of, split_texts
+
+    cut = split_texts(latest_pages(table(spark, sf_dir, "extracted_page")), ["doc_id", "page_number"], settings_of(table(spark, sf_dir, "protocol_setting")))
+    sizes = F.broadcast(table(spark, sf_dir, "protocol_setting").select("protocol_id", "chunk_token_size").distinct())  # settings_of has bounded it
+    issue = F.explode(F.expr("filter(array(if(size(pieces) > 1 AND tokens > chunk_token_size, 'oversized', NULL), if(longest_run > chunk_token_size, 'no_boundary', NULL)), x -> x IS NOT NULL)"))
+    return cut.join(sizes, "protocol_id").select("protocol_id", "doc_id", "page_number", issue.alias("issue"))
+
+
+@query()
+def p5_pieces(spark, sf_dir):
+    """The pieces of every page for every protocol."""
+    from .splitting import latest_pages, settings_of, split_texts
+
+    pages = latest_pages(table(spark, sf_dir, "extracted_page"))
+    cut = split_texts(pages, ["doc_id", "page_number"], settings_of(table(spark, sf_dir, "protocol_setting")))
+    piece = cut.select("protocol_id", "doc_id", "page_number", F.posexplode("pieces").alias("piece_no", "piece"))
+    return piece.select("protocol_id", "doc_id", "page_number", "piece_no", F.col("piece.start").alias("first_char"), F.col("piece.end").alias("end_char"), F.col("piece.tokens").alias("tokens"))
+
+
+@query()
+def p6_found(spark, sf_dir):
+    """Pairs of vectors of which one is among the other's five most similar, with a cosine of at least 0.85."""
+    from .neighbours import nearest
+
+    near = nearest(table(spark, sf_dir, "chunk_vector"), 5, 0.85)
+    return near.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
+
+
+@query()
+def p6_neighbours(spark, sf_dir):
+    """The five most similar vectors of every vector."""
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "chunk_vector"), 5)
