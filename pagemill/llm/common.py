@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ def non_blank(text: str = "text") -> F.Column:
     return F.coalesce(F.col(text).rlike(r"(?U)\S"), F.lit(False))
 
 
-DIGITS = regex.compile(r"[0-9]+")
+DIGITS = re.compile(r"[0-9]+")
 TEN_LETTERS = regex.compile(r"(?:\p{L}\P{L}*+){10}")
 
 

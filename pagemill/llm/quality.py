@@ -6,7 +6,6 @@ import math
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from . import rules
-from .common import TEN_LETTERS, arrow_map, non_blank
-from .site_lines import line_key, repeated_lines, with_site_keys
+from .common import arrow_map, non_blank
+from .site_lines import repeated_lines, with_site_keys, words_key
 
 #: The most labelled documents that rules are learned from; of more, those with the smallest hash of doc_id.
 MAX_LABELS = 20_000
@@ -35,7 +34,7 @@ COMMON = frozenset(
 BUCKETS = 1 << 16
 SPACE, LETTER, DIGIT, SYMBOL, BAD = range(5)
 FEATURES = (
-    "prose_share", "short_share", "cell_share", "cell_line_share", "end_share", "common_share", "mean_word_len", "long_word_share", "top_word_share",
+    "prose_share", "short_share", "cell_share", "cell_line_share", "end_share", "common_share", "mean_word_len", "long_word_share",
     "variety", "repeated_line_share", "letter_share", "digit_share", "symbol_share", "bad_share", "familiarity",
 )
 COUNTS = ("text_char_count", "word_count", "line_count")
@@ -102,78 +101,81 @@ def ngram_model(docs: DataFrame) -> np.ndarray:
     return n.reshape(2, BUCKETS).astype(np.float32)
 
 
-def familiarity(codes: np.ndarray, model: np.ndarray) -> np.ndarray:
+def log_model(n: np.ndarray) -> np.ndarray:
+    """Counts as logarithms, so that the difference of both rows is how often a code point follows the two before it."""
+    return np.log2(n + np.array([[5], [0.05]])).astype(np.float32)
+
+
+def familiarity(codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """log2 of how often each code point follows the two before it, in the model's texts; 0 for the last two."""
     if len(codes) < 3:
-        return np.zeros(len(codes))
+        return np.zeros(len(codes), np.float32)
     two, three = ngram_buckets(codes)
-    return np.append(np.log2((model[1][three] + 0.05) / (model[0][two] + 5)), [0, 0])
+    return np.append(logs[1][three] - logs[0][two], np.zeros(2, np.float32))
 
 
-def line_stats(line: str) -> tuple[int, int, bool, bool, bool]:
-    """(words, common words, it is prose, it is a row of cells, it is a short item) of one line without outer white space."""
-    words = line.casefold().split()
+def line_stats(line: str, words: list[str]) -> tuple[int, bool, bool, bool]:
+    """(common words, it is prose, it is a row of cells, it is a short item) of a line without outer white space; words are case folded."""
     n, common = len(words), sum(map(COMMON.__contains__, words))
-    cells = max(line.count("|"), line.count("\t"), line.count(";"), len(MULTI_SPACE.findall(line)), len(TIGHT_COMMA.findall(line)))
-    rule = bool(RULED.fullmatch(line))
+    cells = max(line.count("|"), line.count("\t"), line.count(";"))
+    if "  " in line:
+        cells = max(cells, len(MULTI_SPACE.findall(line)))
+    if cells < 2 and line.count(",") > 1:
+        cells = len(TIGHT_COMMA.findall(line))
+    rule = n < 4 and bool(RULED.fullmatch(line))
     if cells >= 2 and not rule and 2 * sum(map(str.isalnum, line)) < sum(map(len, words)) - line.count("|"):
         cells = 0  # symbols, not cells
     prose = cells * 6 <= n and (n >= 4 and common * 20 >= n * 3 or n >= 6 and line.endswith(ENDS) and common > 0)
-    return n, common, prose, rule or cells >= 2 and not prose, n <= 10 and not prose and cells < 2 and not rule
-
-
-def body_lines(text: str, site_keys: set[int]) -> list[str]:
-    """The lines that are neither blank, nor a site line, nor the first of the rest (the title)."""
-    rows = [x for x in text.split("\n") if x and not x.isspace()]
-    if site_keys:
-        rows = [x for x in rows if not (TEN_LETTERS.search(x) and line_key(x) in site_keys)]
-    return rows[1:] if len(rows) > 1 else rows
+    return common, prose, rule or cells >= 2 and not prose, n <= 10 and not prose and cells < 2 and not rule
 
 
-def doc_features(texts: list[str], keys: list[list[int]], model: np.ndarray) -> list[np.ndarray]:
-    """A column for each of COUNTS and FEATURES."""
+def doc_features(texts: list[str], keys: list[list[int]], logs: np.ndarray) -> list[np.ndarray]:
+    """A column for each of COUNTS and FEATURES. The body is what isn't blank, a site line or the first of the rest (the title)."""
     out = np.zeros((len(COUNTS) + len(FEATURES), len(texts)))
     bodies = []
     for i, (text, own) in enumerate(zip(texts, keys)):
-        rows = body_lines(text, set(own))
-        chars = words = common = prose = short = cells = cell_chars = ends = longer = letters = 0
-        seen: Counter[str] = Counter()
-        for x in rows:
-            x = x.strip()
-            n, c, is_prose, is_cells, is_short = line_stats(x)
-            chars += len(x)
+        own = set(own)
+        rows = [(x, w) for x in map(str.strip, text.split("\n")) if x and (w := x.casefold().split()) and not (own and len(x) >= 10 and words_key(w) in own)]
+        if len(rows) > 1:
+            del rows[0]
+        chars = words = common = prose = short = cells = cell_chars = ends = longer = gaps = 0
+        seen: set[str] = set()
+        for x, w in rows:
+            n, size = len(w), len(x)
+            c, is_prose, is_cells, is_short = line_stats(x, w)
+            chars += size
             words += n
             common += c
-            prose += len(x) * is_prose
+            prose += size * is_prose
             cells += is_cells
             short += is_short
-            cell_chars += len(x) * is_cells
+            cell_chars += size * is_cells
             ends += x.endswith(ENDS)
-            ws = x.split()
-            letters += sum(map(len, ws))
-            seen.update(ws)
-            if len(x) > 25 * n:
-                longer += sum(len(w) for w in ws if len(w) > 25)
+            gaps += x.count(" ")
+            seen.update(w)
+            if size > 25 * n:
+                longer += sum(len(v) for v in w if len(v) > 25)
         k, chars = max(len(rows), 1), max(chars, 1)
-        body = "\n".join(rows)
+        body = "\n".join([x for x, _ in rows])
         bodies.append(body.lower() or " ")
-        out[: len(COUNTS) + 11, i] = [
-            len(text), len(text.split()), text.count("\n") + 1, prose / chars, short / k, cell_chars / chars, cells / k, ends / k, common / max(words, 1), letters / max(words, 1), longer / chars,
-            max(seen.values(), default=0) / max(words, 1), math.log(len(seen) + 1) / math.log(words + 2), 1 - len(set(rows)) / k,
+        out[: len(COUNTS) + 10, i] = [
+            len(text), len(text.split()), text.count("\n") + 1, prose / chars, short / k, cell_chars / chars, cells / k, ends / k, common / max(words, 1), (chars - gaps) / max(words, 1), longer / chars,
+            math.log(len(seen) + 1) / math.log(words + 2), 1 - len({x for x, _ in rows}) / k,
         ]
     codes, starts = codes_of(bodies)
-    cls = classes()[np.minimum(codes, 65535)]
     sizes = np.diff(np.append(starts, len(codes)))
+    kinds = classes()[np.minimum(codes, 65535)] + np.repeat(np.arange(len(texts)) * 5, sizes)
+    shares = np.bincount(kinds, minlength=5 * len(texts)).reshape(-1, 5) / sizes[:, None]
     for j, kind in enumerate((LETTER, DIGIT, SYMBOL, BAD)):
-        out[len(COUNTS) + 11 + j] = np.add.reduceat((cls == kind).astype(np.int64), starts) / sizes
-    out[-1] = np.add.reduceat(familiarity(codes, model), starts) / sizes
+        out[len(COUNTS) + 10 + j] = shares[:, kind]
+    out[-1] = np.add.reduceat(familiarity(codes, logs), starts) / sizes
     return list(out)
 
 
 def text_statistics(docs: DataFrame, lines: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     """doc_id, counts of the whole text and FEATURES of its body, for each non-blank document."""
     docs = docs.select("doc_id", "text", "source").where(non_blank())
-    shared = docs.sparkSession.sparkContext.broadcast(ngram_model(docs) if model is None else model)
+    shared = docs.sparkSession.sparkContext.broadcast(log_model(ngram_model(docs) if model is None else model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,18 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .common import TEN_LETTERS, arrow_map, is_small, line_form, maybe_broadcast, non_blank
+from .common import DIGITS, TEN_LETTERS, arrow_map, is_small, line_form, maybe_broadcast, non_blank
 
 MIN_DOCS = 3
 MIN_SHARE = 0.1
 
 
-def line_key(line: str) -> int:
-    """64 bits of the line's identity, as a signed number."""
-    h = xxhash.xxh64_intdigest(line_form(line).encode("utf-8", "surrogatepass"))
+def form_key(form: str) -> int:
+    """64 bits of a line's identity, as a signed number."""
+    h = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def line_key(line: str) -> int:
+    return form_key(line_form(line))
+
+
+def words_key(words: list[str]) -> int:
+    """line_key of a line of which words = line.casefold().split()."""
+    return form_key(DIGITS.sub("0", " ".join(words)))
+
+
 class Summary:
     """Misra-Gries over sets: after any number of updates a true count is at most the kept count plus error."""
 
@@ -58,7 +67,7 @@ def _summaries(share: float):
         by_source: dict[str, Summary] = {}
         for b in batches:
             for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = {line_key(x) for x in text.split("\n") if TEN_LETTERS.search(x)}
+                keys = {line_key(x) for x in text.split("\n") if len(x) >= 10 and TEN_LETTERS.search(x)}
                 if source not in by_source:
                     by_source[source] = Summary(share)
                 by_source[source].add(keys)
@@ -80,7 +89,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text, source, wanted in zip(*(b.column(k).to_pylist() for k in range(4))):
             wanted = set(wanted)
             for n, x in enumerate(text.split("\n"), 1):
-                if TEN_LETTERS.search(x) and (k := line_key(x)) in wanted:
+                if len(x) >= 10 and (k := line_key(x)) in wanted:
                     ids.append(i)
                     sources.append(source)
                     lines.append(n)
@@ -135,7 +144,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             keys = set(keys)
             rows = text.split("\n")
-            kept = [x for x in rows if not (TEN_LETTERS.search(x) and line_key(x) in keys)]
+            kept = [x for x in rows if line_key(x) not in keys]
             out.append("\n".join(kept))
             gone.append(len(rows) - len(kept))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(gone, pa.int32())], names=["doc_id", "text", "lines_removed"])
