@@ -1,4 +1,8 @@
-"""The most similar vectors of every vector, by an inverted multi-index.
+"""The most similar vectors of every vector, by an inverted multi-index or a scan of all pairs.
+
+How many entries a query must see is measured: of a sample of vectors the true neighbours are found among all, and the
+index searches as far as RECALL of them lie. Where that is so far that comparing all pairs costs less, all are compared, and
+the result is exact; vectors without clusters leave an index nothing to skip.
 
 Vectors are scaled to length one and cut in two halves, each quantised by its own k-means (fitted on a bounded sample). A cell
 is a pair of centroids. A query visits cells in the order of its summed distance to both centroids, taken from a heap, until
@@ -22,8 +26,14 @@ from .common import arrow_map, maybe_broadcast
 
 #: Rows that the centroids are fitted on.
 SAMPLE = 20_000
-#: Entries that a cell has on average, and those that a query's cells hold together at least.
+#: Entries that a cell has on average, and those that a query's cells hold together at least, however few would do.
 CELL_ENTRIES, CANDIDATES = 50, 500
+#: Vectors whose true neighbours are looked up, and the share of these that the index must reach.
+PROBES, RECALL = 400, 0.97
+#: Comparing with this many entries in a scan costs about as much as with one in the index.
+SCAN_GAIN = 100
+#: Entries of a block of the scan.
+SCAN_BLOCK = 10_000
 #: Centroids of a half at most; more vectors then make larger cells.
 MOST_CENTROIDS = 1024
 #: Entries, and queries, of a cell that one task compares.
@@ -135,9 +145,105 @@ def _compare(k: int, least: float, size: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64, candidates: int = CANDIDATES) -> DataFrame:
+def _top(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine): the k rows of y nearest to each of x, ties by id, without the same id; cosines of at least least."""
+    out = []
+    step = max(1, -(-len(y) // max(64, 4 * k)))
+    starts = np.arange(0, len(y), step)
+    for at in range(0, len(x), 500):
+        c = x[at : at + 500] @ y.T
+        bound = np.full(len(c), least)
+        if len(starts) > k + 1:  # k + 1 parts have a maximum of at least this; one of those may be the vector itself
+            bound = np.maximum(bound, np.partition(np.maximum.reduceat(c, starts, axis=1), len(starts) - k - 1, axis=1)[:, len(starts) - k - 1])
+        i, j = np.nonzero(c >= (bound - 1e-5)[:, None].astype(np.float32))
+        other = x_ids[at + i] != y_ids[j]
+        i, j = at + i[other], j[other]
+        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[s : s + 20_000]].astype(np.float64), y[j[s : s + 20_000]].astype(np.float64)) for s in range(0, len(i), 20_000))])
+        order = np.lexsort((y_ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = (rank < k) & (exact >= least)
+        out.append((i[keep], j[keep], exact[keep]))
+    return tuple(np.concatenate([o[n] for o in out]) if out else np.zeros(0, t) for n, t in enumerate((int, int, float)))
+
+
+def _scan_block(k: int, least: float, size: int):
+    """Of each vector of a pair of blocks its k nearest in the other one (in its own, if both are the same)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows["a"].iloc[0], rows["b"].iloc[0]
+        sides = {at: (_unit(r["blob"].tolist(), size), r["vec_id"].to_numpy()) for at, r in rows.groupby("own")}
+        out = []
+        for p, q in {(a, b), (b, a)}:
+            if p in sides and q in sides:
+                (x, xi), (y, yi) = sides[p], sides[q]
+                i, j, c = _top(x, y, xi, yi, k, least)
+                out.append(pd.DataFrame({"query": xi[i], "other": yi[j], "cosine": c}))
+        return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "cosine": np.zeros(0)})
+
+    return run
+
+
+def _scan(groups: DataFrame, n: int, k: int, least: float, size: int) -> DataFrame:
+    """(query, other, cosine) from all pairs of blocks: exact."""
+    blocks = -(-n // SCAN_BLOCK)
+    own = groups.select(F.col("rep").alias("vec_id"), "blob", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("own"))
+    pairs = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = pairs.select(F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own", "vec_id", "blob")
+    return pairs.groupBy("a", "b").applyInPandas(_scan_block(k, least, size), "query bigint, other bigint, cosine double")
+
+
+def _probe(ids: np.ndarray, x: np.ndarray, centroids, k: int, least: float, size: int):
+    """Rows (query, cell, cosine, other): the k nearest entries of a partition to each of x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ca, cb = centroids
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, y_ids = _unit(b.column(1).to_pylist(), size), b.column(0).to_numpy()
+            i, j, c = _top(x, y, ids, y_ids, k, least)
+            cell = _distances(y[:, : size // 2], ca).argmin(1) * len(cb) + _distances(y[:, size // 2 :], cb).argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(cell[j].astype(np.int32)), pa.array(c), pa.array(y_ids[j])], names=["query", "cell", "cosine", "other"])
+
+    return run
+
+
+def _enough(groups: DataFrame, ids: np.ndarray, x: np.ndarray, centroids, counts: np.ndarray, k: int, least: float, size: int) -> int:
+    """Entries that a query's cells must hold so that RECALL of the probes' true neighbours are among them."""
+    near = arrow_map(groups.select("rep", "blob"), _probe(ids, x, centroids, k, least, size), "query int, cell int, cosine double, other bigint")
+    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "other")
+    true = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "cell").toPandas()  # PROBES x k rows
+    if not len(true):
+        return CANDIDATES
+    da, db = _distances(x[:, : size // 2], centroids[0]), _distances(x[:, size // 2 :], centroids[1])
+    needed = []
+    for i, cells in true.groupby("query")["cell"]:
+        order = (da[i][:, None] + db[i][None, :]).ravel().argsort(kind="stable")
+        before = np.empty(len(counts), np.int64)
+        before[order] = np.cumsum(counts[order]) - counts[order]
+        needed += (before[cells.to_numpy()] + 1).tolist()
+    return max(CANDIDATES, int(np.quantile(needed, RECALL, method="higher")))
+
+
+def _indexed(groups: DataFrame, centroids, counts: np.ndarray, candidates: int, k: int, least: float, size: int) -> DataFrame:
+    """(query, other, cosine) from the cells that a query visits until they hold so many candidates."""
+    visits = arrow_map(groups.select(F.col("rep").alias("vec_id"), "blob"), _visits(centroids, counts, candidates, size), "cell int, vec_id bigint, blob binary, entry boolean")
+    visits = materialise(visits)
+    blocks = visits.groupBy("cell").agg(F.count_if("entry").alias("e"), F.count_if(~F.col("entry")).alias("q"))
+    blocks = blocks.select("cell", F.ceil(F.col("e") / BLOCK).cast("int").alias("e"), F.ceil(F.col("q") / BLOCK).cast("int").alias("q")).where("e > 0 AND q > 0")
+    dealt = visits.join(maybe_broadcast(blocks, 16), "cell")
+    own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("entry"), F.col("e")).otherwise(F.col("q"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, if(entry, q, e) - 1)")))
+    dealt = dealt.select("cell", F.when(F.col("entry"), F.col("own")).otherwise(F.col("other")).alias("eb"), F.when(F.col("entry"), F.col("other")).otherwise(F.col("own")).alias("qb"), "vec_id", "blob", "entry")
+    return dealt.groupBy("cell", "eb", "qb").applyInPandas(_compare(k, least, size), "query bigint, other bigint, cosine double")
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64, candidates: int | None = None) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the k nearest others of every usable vector, ties by id; only cosines of at least least.
 
+    candidates: entries that the index looks at for a vector; by default as many as a measured recall of RECALL takes, or all.
+
     Unusable vectors have no rows and are nobody's neighbours; equal rows are one; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -146,22 +252,24 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64,
     n = groups.count()
     if not n:
         return spark.createDataFrame([], "vec_id bigint, neighbour bigint, cosine double, rank int")
-    sample = _unit([bytes(r[0]) for r in groups.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("blob").collect()], size)
-    kk = int(max(1, min(MOST_CENTROIDS, round((n / CELL_ENTRIES) ** 0.5), len(sample))))
-    centroids = _kmeans(sample[:, : size // 2], kk, 1), _kmeans(sample[:, size // 2 :], kk, 2)
-    held = arrow_map(groups.select("blob"), _cells(centroids, size), "cell int").groupBy("cell").count().collect()  # MOST_CENTROIDS squared at most
-    counts = np.zeros(len(centroids[0]) * len(centroids[1]), np.int64)
-    for cell, m in held:
-        counts[cell] = m
-    visits = arrow_map(groups.select(F.col("rep").alias("vec_id"), "blob"), _visits(centroids, counts, candidates, size), "cell int, vec_id bigint, blob binary, entry boolean")
-    visits = materialise(visits)
-    blocks = visits.groupBy("cell").agg(F.count_if("entry").alias("e"), F.count_if(~F.col("entry")).alias("q"))
-    blocks = blocks.select("cell", F.ceil(F.col("e") / BLOCK).cast("int").alias("e"), F.ceil(F.col("q") / BLOCK).cast("int").alias("q")).where("e > 0 AND q > 0")
-    dealt = visits.join(maybe_broadcast(blocks, 16), "cell")
-    own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("entry"), F.col("e")).otherwise(F.col("q"))).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, if(entry, q, e) - 1)")))
-    dealt = dealt.select("cell", F.when(F.col("entry"), F.col("own")).otherwise(F.col("other")).alias("eb"), F.when(F.col("entry"), F.col("other")).otherwise(F.col("own")).alias("qb"), "vec_id", "blob", "entry")
-    near = dealt.groupBy("cell", "eb", "qb").applyInPandas(_compare(k, least, size), "query bigint, other bigint, cosine double")
+    if candidates is None and n <= CANDIDATES * SCAN_GAIN:
+        near = _scan(groups, n, k, least, size)
+    else:
+        rows = groups.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("rep", "blob").collect()
+        sample = _unit([bytes(r[1]) for r in rows], size)
+        kk = int(max(1, min(MOST_CENTROIDS, round((n / CELL_ENTRIES) ** 0.5), len(sample))))
+        centroids = _kmeans(sample[:, : size // 2], kk, 1), _kmeans(sample[:, size // 2 :], kk, 2)
+        held = arrow_map(groups.select("blob"), _cells(centroids, size), "cell int").groupBy("cell").count().collect()  # MOST_CENTROIDS squared at most
+        counts = np.zeros(len(centroids[0]) * len(centroids[1]), np.int64)
+        for cell, m in held:
+            counts[cell] = m
+        if candidates is None:
+            ids = np.array([r[0] for r in rows[:PROBES]], np.int64)
+            candidates = _enough(groups, ids, sample[:PROBES], centroids, counts, k, least, size)
+            scan = candidates * SCAN_GAIN >= n
+        else:
+            scan = False
+        near = _scan(groups, n, k, least, size) if scan else _indexed(groups, centroids, counts, candidates, k, least, size)
     # Copies: of a group's members only the k + 1 lowest ids can be anyone's neighbours; cosines of equal rank are compared rounded.
     first = Window.partitionBy("blob").orderBy("vec_id")
     low = base.join(groups.where("copies > 1").select("blob", "rep"), "blob").withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).groupBy("rep").agg(F.collect_list("vec_id").alias("low"))
