@@ -215,3 +215,11 @@ def p6_neighbours(spark, sf_dir):
     from .neighbours import nearest
 
     return nearest(table(spark, sf_dir, "chunk_vector"), 5)
+
+
+@query()
+def p4_found(spark, sf_dir):
+    """Broken pairs of question and answer, of the references and of the results, and what is wrong with them."""
+    from .answers import answer_defects
+
+    return answer_defects(table(spark, sf_dir, "reference_answer"), table(spark, sf_dir, "answer_result"))

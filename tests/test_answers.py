@@ -1,0 +1,52 @@
+"""Broken pairs of question and answer."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+ASKED = "Who is responsible for appointing the Registrar under Article 20 of the Harbour Rules?"
+GOOD = "The Registrar is appointed by the Board of Governors for a term of 8 years and is entitled to refuse any application."
+CASES = [
+    (GOOD, None),
+    ("The Board of Governors", None),
+    (GOOD + " See the Harbour file (Article 43)", None),
+    ("On the question who is responsible for appointing the Registrar under Article 20 of the Harbour Rules, the pages say this. " + GOOD, None),
+    (None, "empty"), (" ​", "empty"), ("N/A", "empty"), ("...", "empty"),
+    ("I'm sorry, but I can't help with that request.", "refusal"),
+    ("The supplied pages contain no information that would let me answer.", "refusal"),
+    ("Leider kann ich diese Frage nicht beantworten.", "refusal"),
+    ("Question: " + ASKED.lower(), "copy"),
+    ("La demande a été rejetée parce que le contrat n'avait pas été remis à temps.", "language"),
+    (GOOD[:70], "truncated"), (GOOD[:70] + "...", "truncated"), (GOOD + " Nothing in the (see", "truncated"),
+]
+
+
+@pytest.fixture(scope="module")
+def spark():
+    s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+    yield s
+    s.stop()
+
+
+def test_p4_is_registered():
+    from pagemill.llm.queries import QUERIES
+
+    assert "p4_found" in QUERIES
+
+
+def test_defects(spark):
+    from pagemill.llm.answers import answer_defects
+
+    answer = "answer struct<b:boolean,n:double,s:string,arr:array<string>>"
+    refs = [("q", "free_text", ASKED, (None, None, GOOD, None), 1), ("q", "free_text", ASKED, (None, None, GOOD, None), 2), ("b", "boolean", "Is it?", (None, None, "x", None), 1), ("n", "number", "How many?", None, 1), ("m", "names", "Who are they?", (None, None, None, ["", "-"]), 1)]
+    refs = spark.createDataFrame(refs, f"question_id string, answer_type string, question string, {answer}, loaded_at int")
+    results = [(i, "q", (None, None, s, None), 1) for i, (s, _) in enumerate(CASES)] * 2
+    results = spark.createDataFrame(results, f"result_id bigint, question_id string, {answer}, loaded_at int")
+    got = sorted(tuple(r) for r in answer_defects(refs, results).collect())
+    want = [("reference", "b", "empty"), ("reference", "m", "empty"), *(("result", str(i), d) for i, (_, d) in enumerate(CASES) if d)]
+    assert got == sorted(want)
