@@ -223,3 +223,22 @@ def p4_found(spark, sf_dir):
     from .answers import answer_defects
 
     return answer_defects(table(spark, sf_dir, "reference_answer"), table(spark, sf_dir, "answer_result"))
+
+
+@query()
+def p9_found(spark, sf_dir):
+    """Documents whose running text breaks off inside a sentence or word."""
+    from .cut_off import cut_off
+
+    return cut_off(table(spark, sf_dir, "documents"), p1_found(spark, sf_dir))
+
+
+@query()
+def p9_sources(spark, sf_dir):
+    """Of each source: non-blank documents, those that break off, and their share."""
+    from .common import non_blank
+
+    docs = table(spark, sf_dir, "documents").where(non_blank()).select("doc_id", "source")
+    cut = p9_found(spark, sf_dir).withColumn("cut", F.lit(1))
+    report = docs.join(cut, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.count("cut").alias("cut_off"))
+    return report.withColumn("share", F.col("cut_off") / F.col("documents"))

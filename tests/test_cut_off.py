@@ -1,0 +1,32 @@
+"""Documents that break off inside a sentence or word."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from pagemill.llm.queries import QUERIES  # noqa: E402
+
+WHOLE = "Guidance on Removal\nThe Registrar may register the lease within 8 days."
+
+
+def test_p9_is_registered():
+    assert {"p9_found", "p9_sources"} <= set(QUERIES)
+
+
+@pytest.mark.parametrize("tail", ["\n(2) It is an offence for the liq", "\nNo notice may be relied upon in a well-founded", " When a...", " The hearing took place [...]", " An appeal against a\nShared 97 times by readers", " An award w (more)", " Damages &#8"])
+def test_breaks_off(tail):
+    from pagemill.llm.cut_off import breaks_off
+    from pagemill.llm.site_lines import line_key
+
+    assert breaks_off(WHOLE + tail, {line_key("shared 5 times by readers")})
+
+
+@pytest.mark.parametrize("tail", ["", "\n- 2 -", "\nii", "\nPage 1 of 3", "\nGuidance on Removal 4", "\n(Signed) Kiadorn Veraewum", "\nDone at Norousquay on 21 May 2016", "\nAnnex B follows", "\nMufat Peluheast\nSmall Disputes Chamber", "\nShared 97 times by readers", " He left on 17\nDecember 2023."])
+def test_is_whole(tail):
+    from pagemill.llm.cut_off import breaks_off
+    from pagemill.llm.site_lines import line_key
+
+    assert not breaks_off(WHOLE + tail, {line_key("shared 5 times by readers")})
