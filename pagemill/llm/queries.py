@@ -112,6 +112,35 @@ def p1_signals(spark, sf_dir):
     return out.select("doc_id", "recorded_chars", "recorded_words", "recorded_bad_ratio", "chars", "words", (~F.col("recorded_chars").eqNullSafe(F.col("chars"))).alias("stale"))
 
 
+def prose_findings(spark, sf_dir):
+    """(documents, repeated lines, findings of scanned documents that are prose)."""
+    from .common import maybe_broadcast
+    from .quality import document_kinds
+    from .scanned import scan_findings
+    from .site_lines import repeated_lines
+
+    docs = table(spark, sf_dir, "documents")
+    lines = repeated_lines(docs)[1]
+    others = document_kinds(docs, table(spark, sf_dir, "kind_label"), lines=lines).where("kind <> 'prose'").select("doc_id").distinct()
+    return docs, lines, scan_findings(docs, lines).join(maybe_broadcast(others, 8), "doc_id", "left_anti")
+
+
+@query()
+def p3_found(spark, sf_dir):
+    """Headers, page numbers, divided words and misread characters of scanned documents."""
+    return prose_findings(spark, sf_dir)[2].select("doc_id", "line_no", "defect").distinct()
+
+
+@query()
+def p3_clean_text(spark, sf_dir):
+    """Every document's text, of scanned ones the continuous paragraphs."""
+    from ..storage import materialise
+    from .scanned import repaired
+
+    docs, lines, found = prose_findings(spark, sf_dir)
+    return repaired(docs, lines, materialise(found))
+
+
 @query()
 def p7_ids(spark, sf_dir):
     """The ids of every document's text."""
