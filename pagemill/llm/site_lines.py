@@ -32,6 +32,16 @@ def line_key(line: str) -> int:
     return form_key(line_form(line))
 
 
+def text_forms(text: str) -> list[str]:
+    """line_form of each line."""
+    return [" ".join(f.split()) for f in DIGITS.sub("0", text).casefold().split("\n")]
+
+
+def line_forms(text: str) -> list[tuple[str, str]]:
+    """Each line of at least ten characters and its line_form."""
+    return [(x, f) for x, f in zip(text.split("\n"), text_forms(text)) if len(x) >= 10]
+
+
 def words_key(words: list[str]) -> int:
     """line_key of a line of which words = line.casefold().split()."""
     return form_key(DIGITS.sub("0", " ".join(words)))
@@ -67,7 +77,7 @@ def _summaries(share: float):
         by_source: dict[str, Summary] = {}
         for b in batches:
             for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = {line_key(x) for x in text.split("\n") if len(x) >= 10 and TEN_LETTERS.search(x)}
+                keys = {form_key(f) for x, f in line_forms(text) if TEN_LETTERS.search(x)}
                 if source not in by_source:
                     by_source[source] = Summary(share)
                 by_source[source].add(keys)
@@ -88,8 +98,8 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sources, lines, keys = [], [], [], []
         for i, text, source, wanted in zip(*(b.column(k).to_pylist() for k in range(4))):
             wanted = set(wanted)
-            for n, x in enumerate(text.split("\n"), 1):
-                if len(x) >= 10 and (k := line_key(x)) in wanted:
+            for n, f in enumerate(text_forms(text), 1):
+                if (k := form_key(f)) in wanted:
                     ids.append(i)
                     sources.append(source)
                     lines.append(n)
