@@ -207,7 +207,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_labels: int = MAX_LABEL
     return rules.learn(rows[list(FEATURES)].to_numpy(float), rows["kind"].tolist(), list(FEATURES), "prose")
 
 
-def document_kinds(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, lines: DataFrame | None = None) -> DataFrame:
+def document_kinds(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, lines: DataFrame | None = None, model: np.ndarray | None = None) -> DataFrame:
     """doc_id, kind (prose, list, table or junk) and the statistics of every non-blank document.
 
     Blank and NULL texts have no row; a document whose lines all are site lines counts as it stands. Repeated rows of a
@@ -216,7 +216,7 @@ def document_kinds(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
     docs = docs.select("doc_id", "text", "source")
     if lines is None:
         lines = repeated_lines(docs)[1]
-    stats = materialise(text_statistics(docs, lines))
+    stats = materialise(text_statistics(docs, lines, model))
     found = learn_rules(stats, labels, max_labels)
     return stats.withColumn("kind", F.expr(rules.case_sql(found, "prose")))
 

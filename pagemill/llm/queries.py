@@ -258,8 +258,14 @@ def p4_found(spark, sf_dir):
 def p9_found(spark, sf_dir):
     """Documents whose running text breaks off inside a sentence or word."""
     from .cut_off import cut_off
+    from .quality import document_kinds, ngram_model
+    from .site_lines import repeated_lines
 
-    return cut_off(table(spark, sf_dir, "documents"), p1_found(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    lines = repeated_lines(docs)[1]
+    model = ngram_model(docs)
+    kinds = document_kinds(docs, table(spark, sf_dir, "kind_label"), lines=lines, model=model)
+    return cut_off(docs, lines, kinds.where("kind <> 'prose'"), model)
 
 
 @query()

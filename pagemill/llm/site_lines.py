@@ -144,6 +144,21 @@ def with_site_keys(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(by_source) if fits else by_source, "source", "left").withColumn("site_keys", F.coalesce("site_keys", F.array().cast("array<bigint>")))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(i, k) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in {form_key(f) for _, f in line_forms(text)}]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], b.column(0).type), pa.array([k for _, k in rows], pa.int64())], names=["doc_id", "key"])
+
+
+def with_all_site_keys(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """docs with site_keys as with_site_keys has them; documents without a source have those of their lines that any source repeats."""
+    loose = docs.where(F.col("source").isNull())
+    keys = arrow_map(loose.where(non_blank()).select("doc_id", "text"), _keys, docs.select("doc_id").schema.add("key", "long"))
+    keys = keys.join(maybe_broadcast(lines.select("key").distinct(), 8), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("site_keys"))
+    loose = loose.join(maybe_broadcast(keys, 100), "doc_id", "left").withColumn("site_keys", F.coalesce("site_keys", F.array().cast("array<bigint>")))
+    return with_site_keys(docs.where(F.col("source").isNotNull()), lines).unionByName(loose)
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out, gone = [], []
