@@ -41,7 +41,9 @@ SENTENCE_INSIDE = regex.compile(r"[.!?؟;]\s")
 #: Weight of the shorter context's rate where the longer one is rare; and the rate of none.
 BACKOFF, NEVER = 3.0, 0.02
 #: Languages of fewer documents take the threshold of all; log-odds are split in so many steps, between these bounds.
-LEAST_DOCS, STEPS, LOW, HIGH = 40, 60, -10.0, 10.0
+LEAST_DOCS, STEPS, LOW, HIGH = 40, 120, -10.0, 10.0
+#: The least spread of a group, in steps: a narrow group would else draw the threshold to its edge.
+SPREAD = 4
 
 
 def is_name(line: str) -> bool:
@@ -125,7 +127,7 @@ def _split(counts: np.ndarray) -> float:
             if not n:
                 break
             mean = (counts[part] * x[part]).sum() / n
-            spread = math.sqrt((counts[part] * (x[part] - mean) ** 2).sum() / n + 1)
+            spread = math.sqrt((counts[part] * (x[part] - mean) ** 2).sum() / n + SPREAD**2)
             cost += n / total * (math.log(spread) - math.log(n / total))
         else:
             if cost < best:
