@@ -1,5 +1,6 @@
 """Core queries by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import queries_retrieval  # noqa: F401
+from .catalog import QUERIES, SQL  # noqa: F401
+
 FLAGSHIP = "hybrid_retrieval"
