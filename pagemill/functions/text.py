@@ -84,7 +84,7 @@ def signal(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def grounding_clauses(text: Column) -> Column:
@@ -113,7 +113,7 @@ def bad_char_ratio(text: Column, empty: float = 0.0) -> Column:
 
 
 def document_family(text: Column) -> Column:
-    head = F.upper(F.array_join(F.transform(F.slice(F.split(text, r"\r?\n"), 1, 4), F.trim), " "))
+    head = F.upper(F.array_join(F.transform(F.slice(F.split(text, r"\r?\n"), 1, 4), lambda x: F.trim(x)), " "))
     court = F.lit(False)
     for m in COURT_MARKERS:
         court = court | head.contains(m)
@@ -122,7 +122,7 @@ def document_family(text: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
 
 
 def glyph_cleanup(text: Column) -> Column:
