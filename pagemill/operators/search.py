@@ -127,7 +127,12 @@ def lexical_top(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_i
                     if len(rows_at):
                         yield pd.DataFrame({"qid": qids[start + j], key: ids[rows_at], "score": scores[rows_at, j]})
 
-    return best(rows.select(key, text).mapInPandas(run, schema), k, row=key)
+    return best(spread(rows.select(key, text), key).mapInPandas(run, schema), k, row=key)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows in as many partitions as a shuffle has, by key: scoring is worth more tasks than the size of the rows would give."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def usable_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries of evidence selection, attribution, answers and validation.
 
-Candidates stand in for a retriever's: of each question the chunks of the documents that its results cite, with the mean
-confidence of those results as retrieval score and the share of the question's words in the chunk as rerank score.
+Candidates stand in for a retriever's: of each question the chunks on the pages that its results cite, with the highest mean
+confidence of such a page as retrieval score and the share of the question's words in the chunk as rerank score.
 """
 
 from __future__ import annotations
@@ -19,20 +19,23 @@ from .queries_scoring import FIRST, LEDGER, PAIRS, PLAIN
 from .sources import sinks
 
 
-CAND = f"""cited AS (SELECT x.question_id AS qid, r.question, u.doc_id, round(avg(coalesce(confidence, 0)), 6) AS retrieval_score FROM res x JOIN ref r ON x.question_id = r.question_id, LATERAL (SELECT unnest(list_distinct(list_transform(evidence_pages, lambda e: e.doc_id))) AS doc_id) u WHERE r.question IS NOT NULL GROUP BY ALL),
-cand AS (SELECT qid, chunk_id, c.doc_id, page_span, chunk_type, segments, text, retrieval_score, CASE WHEN chunk_type = 'section' THEN NULL ELSE round(len(list_intersect({RERANK.format(x='question')}, {RERANK.format(x='text')})) / len({RERANK.format(x='question')}), 6) END AS rerank_score FROM cited JOIN chunk c ON cited.doc_id = c.doc_id WHERE text IS NOT NULL AND page_span IS NOT NULL),
+CAND = f"""cited AS (SELECT x.question_id AS qid, e.d AS doc_id, p.n AS page_number, avg(coalesce(confidence, 0)) AS c FROM res x, LATERAL (SELECT unnest(list_transform(evidence_pages, lambda e: {{'d': e.doc_id, 'p': e.page_numbers}})) AS u) y, LATERAL (SELECT y.u.d AS d, y.u.p AS p) e, LATERAL (SELECT unnest(e.p) AS n) p GROUP BY ALL),
+near AS (SELECT qid, chunk_id, round(max(c), 6) AS retrieval_score FROM cited JOIN (SELECT chunk_id, doc_id, unnest(page_span) AS page_number FROM chunk WHERE text IS NOT NULL) k USING (doc_id, page_number) GROUP BY qid, chunk_id),
+cand AS (SELECT qid, chunk_id, c.doc_id, page_span, chunk_type, segments, text, retrieval_score, CASE WHEN chunk_type = 'section' THEN NULL ELSE round(len(list_intersect({RERANK.format(x='question')}, {RERANK.format(x='text')})) / len({RERANK.format(x='question')}), 6) END AS rerank_score FROM near JOIN ref r ON near.qid = r.question_id JOIN chunk c USING (chunk_id) WHERE question IS NOT NULL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, retrieval_score DESC, chunk_id) AS rank FROM cand) WHERE rank <= 24)"""
 TOP = f"WITH {REF}, {RES}, {CHUNK}, {CAND}"
 
 
 def candidates(spark, sf_dir):
-    """The 24 best candidates of every question."""
-    asked = references(spark, sf_dir).where("question IS NOT NULL").select("question_id", "question")
-    cited = results(spark, sf_dir).select("question_id", F.coalesce("confidence", F.lit(0.0)).alias("c"), F.explode(F.array_distinct(F.transform("evidence_pages", lambda e: e["doc_id"]))).alias("doc_id"))
-    cited = cited.join(asked, "question_id").groupBy(F.col("question_id").alias("qid"), "question", "doc_id").agg(F.round(F.avg("c"), 6).alias("retrieval_score"))
-    rows = cited.join(chunks(spark, sf_dir).where("text IS NOT NULL AND page_span IS NOT NULL"), "doc_id")
-    a, b = T.rerank_words(F.col("question")), T.rerank_words(F.col("text"))
-    rows = rows.withColumn("rerank_score", F.when(F.col("chunk_type") != "section", F.round(T.overlap(a, b) / F.size(a), 6)))
+    """The 24 best candidates of every question; texts are joined to its candidates alone."""
+    asked = references(spark, sf_dir).where("question IS NOT NULL").select(F.col("question_id").alias("qid"), T.rerank_words(F.col("question")).alias("asked"))
+    cited = results(spark, sf_dir).select(F.col("question_id").alias("qid"), F.coalesce("confidence", F.lit(0.0)).alias("c"), F.explode("evidence_pages").alias("e"))
+    cited = cited.select("qid", "c", F.col("e.doc_id").alias("doc_id"), F.explode("e.page_numbers").alias("page_number")).groupBy("qid", "doc_id", "page_number").agg(F.avg("c").alias("c"))
+    every = chunks(spark, sf_dir).where("text IS NOT NULL AND page_span IS NOT NULL")
+    near = cited.join(every.select("chunk_id", "doc_id", F.explode("page_span").alias("page_number")), ["doc_id", "page_number"])
+    near = near.groupBy("qid", "chunk_id").agg(F.round(F.max("c"), 6).alias("retrieval_score")).join(asked, "qid")
+    rows = near.join(every.withColumn("said", T.rerank_words(F.col("text"))), "chunk_id")
+    rows = rows.withColumn("rerank_score", F.when(F.col("chunk_type") != "section", F.round(T.overlap(F.col("asked"), F.col("said")) / F.size("asked"), 6)))
     order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("rerank_score"), F.desc("retrieval_score"), "chunk_id")
     rows = rows.withColumn("rank", F.row_number().over(order)).where("rank <= 24")
     return rows.select("qid", "chunk_id", "doc_id", "page_span", "chunk_type", "segments", "text", "retrieval_score", "rerank_score", "rank")
