@@ -239,10 +239,12 @@ def _indexed(groups: DataFrame, centroids, counts: np.ndarray, candidates: int,
     return dealt.groupBy("cell", "eb", "qb").applyInPandas(_compare(k, least, size), "query bigint, other bigint, cosine double")
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64, candidates: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64, candidates: int | None = None, scan: bool = True) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the k nearest others of every usable vector, ties by id; only cosines of at least least.
 
-    candidates: entries that the index looks at for a vector; by default as many as a measured recall of RECALL takes, or all.
+    candidates: entries that the index looks at for a vector; by default as many as a measured recall of RECALL takes. Recall is
+    that of the true neighbours with a cosine of at least least, so a high bound needs few. scan: whether all pairs may be
+    compared instead where that costs less.
 
     Unusable vectors have no rows and are nobody's neighbours; equal rows are one; an empty table gives an empty result.
     """
@@ -252,7 +254,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64,
     n = groups.count()
     if not n:
         return spark.createDataFrame([], "vec_id bigint, neighbour bigint, cosine double, rank int")
-    if candidates is None and n <= CANDIDATES * SCAN_GAIN:
+    if scan and candidates is None and n <= CANDIDATES * SCAN_GAIN:
         near = _scan(groups, n, k, least, size)
     else:
         rows = groups.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("rep", "blob").collect()
@@ -266,7 +268,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, size: int = 64,
         if candidates is None:
             ids = np.array([r[0] for r in rows[:PROBES]], np.int64)
             candidates = _enough(groups, ids, sample[:PROBES], centroids, counts, k, least, size)
-            scan = candidates * SCAN_GAIN >= n
+            scan = scan and candidates * SCAN_GAIN >= n
         else:
             scan = False
         near = _scan(groups, n, k, least, size) if scan else _indexed(groups, centroids, counts, candidates, k, least, size)

@@ -234,7 +234,7 @@ def p6_found(spark, sf_dir):
     """Pairs of vectors of which one is among the other's five most similar, with a cosine of at least 0.85."""
     from .neighbours import nearest
 
-    near = nearest(table(spark, sf_dir, "chunk_vector"), 5, 0.85)
+    near = nearest(table(spark, sf_dir, "chunk_vector"), 5, 0.85, scan=False)
     return near.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
 
 
@@ -246,6 +246,25 @@ def p6_neighbours(spark, sf_dir):
     return nearest(table(spark, sf_dir, "chunk_vector"), 5)
 
 
+@query()
+def p6_recall(spark, sf_dir):
+    """The share of the true five nearest of every fiftieth vector that p6_neighbours finds, and of those with a cosine of at least 0.85 that p6_found does."""
+    from ..operators.search import dense_top, usable_vectors
+    from .neighbours import nearest
+
+    rows = table(spark, sf_dir, "chunk_vector")
+    asked = usable_vectors(rows, "vectors", 64).where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("vectors").alias("query"))
+    true = dense_top(rows, asked, 6, "vec_id", "vectors", 64).where("qid <> vec_id").drop("rank")
+    edge = true.groupBy("qid").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("qid", F.try_element_at("s", F.lit(5)).alias("edge"))
+    asked_ids = asked.select(F.col("qid").alias("vec_id"))
+    every = nearest(rows, 5).join(asked_ids, "vec_id").join(edge, F.col("vec_id") == F.col("qid"))
+    close = nearest(rows, 5, 0.85, scan=False).join(asked_ids, "vec_id")
+    good = every.agg(F.avg((F.col("cosine") >= F.coalesce("edge", F.lit(-1.0)) - 1e-5).cast("double")).alias("recall_all"), F.count("*").alias("neighbours"))
+    want = true.join(edge, "qid").where("score >= 0.85 AND score >= coalesce(edge, -1)").agg(F.count("*").alias("wanted"))
+    have = close.agg(F.count("*").alias("found"))
+    return good.join(want).join(have).select("recall_all", "neighbours", F.least(F.col("found") / F.col("wanted"), F.lit(1.0)).alias("recall_close"), "wanted", "found")
+
+
 @query()
 def p4_found(spark, sf_dir):
     """Broken pairs of question and answer, of the references and of the results, and what is wrong with them."""

@@ -37,23 +37,26 @@ def boundaries(text: str) -> tuple[list[tuple[int, int]], list[int]]:
     return spans, ranks
 
 
-def units(ranks: list[int], lo: int, hi: int, limit: int, level: int = SECTION) -> list[tuple[int, int]]:
-    """Ranges of tokens of at most limit, cut at the strongest separators that do."""
-    out, stack = [], [(lo, hi, level)]
+def units(ranks: list[int], lo: int, hi: int, limit: int, level: int = SECTION) -> tuple[list[tuple[int, int]], int]:
+    """Ranges of tokens of at most limit, cut at the strongest separators that do; and the most tokens that only white space parts."""
+    out, stack, longest = [], [(lo, hi, level)], 0
     while stack:
         lo, hi, level = stack.pop()
         if hi - lo <= limit:
             out.append((lo, hi))
         elif level >= WORD:
+            longest = max(longest, hi - lo)
             out += [(a, min(a + limit, hi)) for a in range(lo, hi, limit)]
         else:
             cuts = [lo, *(k for k in range(lo + 1, hi) if ranks[k] <= level), hi]
             stack += [(a, b, level + 1) for a, b in zip(cuts[-2::-1], cuts[:0:-1])]
-    return out
+    return out, longest
 
 
-def split(text: str | None, size: int, overlap: int) -> tuple[list[tuple[int, int, int]], int, int]:
-    """(pieces, tokens, longest): pieces as (first character, end, tokens); longest counts the tokens between two boundaries at most.
+def split(text: str | None, size: int, overlap: int, found: tuple[list[tuple[int, int]], list[int]] | None = None) -> tuple[list[tuple[int, int, int]], int, int]:
+    """(pieces, tokens, longest): pieces as (first character, end, tokens); longest has the tokens of the longest range that could be cut between words alone, 0 if there was none.
+
+    found: the text's boundaries, where they are known.
 
     A piece but the first starts with the overlap's tokens of the one before, and units of the text's separators follow as
     far as size allows. Blank and NULL texts have no pieces; an overlap of size or more counts as size - 1.
@@ -61,16 +64,15 @@ def split(text: str | None, size: int, overlap: int) -> tuple[list[tuple[int, in
     if size < 1:
         raise ValueError("size must be at least 1")
     overlap = max(0, min(overlap, size - 1))
-    spans, ranks = boundaries(text or "")
+    spans, ranks = found or boundaries(text or "")
     n = len(spans)
     if not n:
         return [], 0, 0
-    cuts = [k for k, r in enumerate(ranks) if r < WORD] + [n]
-    longest = max(b - a for a, b in zip(cuts, cuts[1:]))
     if n <= size:
-        return [(spans[0][0], spans[-1][1], n)], n, longest
+        return [(spans[0][0], spans[-1][1], n)], n, 0
     pieces, start, end = [], 0, 0
-    for a, b in units(ranks, 0, n, size - overlap):
+    ranges, longest = units(ranks, 0, n, size - overlap)
+    for a, b in ranges:
         if b - start > size:
             pieces.append((start, end))
             start = end - min(overlap, end)
@@ -91,8 +93,9 @@ def split_texts(rows: DataFrame, keys: list[str], settings: list[tuple[str, int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(k).to_pylist()
+            bounds = [boundaries(t or "") for t in texts]
             for name, size, overlap in settings:
-                found = [split(t, size, overlap) for t in texts]
+                found = [split(t, size, overlap, at) for t, at in zip(texts, bounds)]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(j) for j in range(k)), pa.array([name] * len(texts), pa.string()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()),
                      pa.array([[dict(zip(("start", "end", "tokens"), p)) for p in x[0]] for x in found], piece)],
