@@ -113,32 +113,69 @@ def p1_signals(spark, sf_dir):
 
 
 def prose_findings(spark, sf_dir):
-    """(documents, repeated lines, findings of scanned documents that are prose)."""
+    """(documents, their site lines, the sources' repeated lines, doc_id of what isn't prose, findings of scanned documents that are prose)."""
     from .common import maybe_broadcast
     from .quality import document_kinds
     from .scanned import scan_findings
     from .site_lines import repeated_lines
 
     docs = table(spark, sf_dir, "documents")
-    lines = repeated_lines(docs)[1]
+    site, lines = repeated_lines(docs)
     others = document_kinds(docs, table(spark, sf_dir, "kind_label"), lines=lines).where("kind <> 'prose'").select("doc_id").distinct()
-    return docs, lines, scan_findings(docs, lines).join(maybe_broadcast(others, 8), "doc_id", "left_anti")
+    return docs, site, lines, others, scan_findings(docs, lines).join(maybe_broadcast(others, 8), "doc_id", "left_anti")
 
 
 @query()
 def p3_found(spark, sf_dir):
     """Headers, page numbers, divided words and misread characters of scanned documents."""
-    return prose_findings(spark, sf_dir)[2].select("doc_id", "line_no", "defect").distinct()
+    return prose_findings(spark, sf_dir)[-1].select("doc_id", "line_no", "defect").distinct()
+
+
+def clean_text(spark, sf_dir):
+    """(repaired texts of all documents, the sources' repeated lines, doc_id of what isn't prose)."""
+    from ..storage import materialise
+    from .scanned import repaired
+
+    docs, site, lines, others, found = prose_findings(spark, sf_dir)
+    return repaired(docs, site, materialise(found)), lines, others
 
 
 @query()
 def p3_clean_text(spark, sf_dir):
     """Every document's text, of scanned ones the continuous paragraphs."""
+    return clean_text(spark, sf_dir)[0]
+
+
+@query()
+def p8_pipeline(spark, sf_dir):
+    """The stages in a row over all documents: what isn't prose is left out (p1), scans are repaired (p3), site lines taken out (p2), and the texts packed by tokens (p7, p8)."""
     from ..storage import materialise
-    from .scanned import repaired
+    from .packing import pack_documents
+    from .site_lines import remove_repeated_lines
+
+    texts, lines, others = clean_text(spark, sf_dir)
+    prose = materialise(texts.join(others, "doc_id", "left_anti"))
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    cleaned = materialise(remove_repeated_lines(prose.join(sources, "doc_id"), lines).select("doc_id", "text"))
+    return pack_documents(cleaned, base_budget(spark, sf_dir))
+
+
+@query()
+def p8_audit(spark, sf_dir):
+    """What must hold of p8_containers: none above capacity, each document whole and once, and only larger ones divided; and the fill."""
+    from .encoding import count_tokens
+    from .packing import pack_documents
+
+    capacity = base_budget(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    packed = pack_documents(docs, capacity)
+    used = packed.groupBy("shard", "bin").agg(F.sum("size").alias("size"))
+    held = packed.groupBy("doc_id").agg(F.sum("size").alias("held"), F.max("piece").alias("last"))
+    from .common import non_blank
 
-    docs, lines, found = prose_findings(spark, sf_dir)
-    return repaired(docs, lines, materialise(found))
+    sizes = count_tokens(docs.where(non_blank())).join(held, "doc_id", "full_outer")
+    wrong = sizes.agg(F.count_if(~F.col("tokens").cast("long").eqNullSafe(F.col("held").cast("long"))).alias("wrong_sizes"), F.count_if((F.col("last") > 0) & (F.col("tokens") <= capacity)).alias("needlessly_divided"))
+    return used.agg(F.count("*").alias("containers"), F.ceil(F.sum("size") / capacity).alias("fewest"), F.count_if(F.col("size") > capacity).alias("overfull"), (F.sum("size") / (F.count("*") * capacity)).alias("filled")).join(wrong)
 
 
 @query()
@@ -161,7 +198,7 @@ def p7_lengths(spark, sf_dir):
 
 def base_budget(spark, sf_dir) -> int:
     """context_token_budget of the protocol `base`."""
-    return table(spark, sf_dir, "protocol_setting").where("protocol_id = 'base'").select("context_token_budget").first()[0]
+    return table(spark, sf_dir, "protocol_setting").where("protocol_id = 'base'").orderBy(F.desc("protocol_version")).select("context_token_budget").first()[0]
 
 
 @query()
