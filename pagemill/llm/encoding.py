@@ -25,11 +25,20 @@ from .common import arrow_map
 REMEMBERED = 400_000
 MASK = (1 << 64) - 1
 
-# White space as Unicode has it (which leaves out the separators U+001C to U+001F).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-# The vocabulary's published pre-token pattern; alternatives that start with different characters may stand in any order.
-PRE_TOKEN = regex.compile(rf" ?\p{{L}}+|'(?:[sdmt]|ll|ve|re)| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-ASCII_PRE_TOKEN = re.compile(r" ?[A-Za-z]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\t\n\x0b\x0c\r A-Za-z0-9]+|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+")
+# Fixed value: the pre-token pattern that is published with the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space as Unicode has it, which leaves out the separators U+001C to U+001F that this library's \s has.
+SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ASCII_SPACES = r"\t\n\x0b\x0c\r "
+
+
+def with_spaces(pattern: str, spaces: str) -> str:
+    """A pattern with this class of white space in place of \\s and \\S."""
+    return pattern.replace(r"[^\s", f"[^{spaces}").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+
+
+PRE_TOKEN = regex.compile(with_spaces(PATTERN, SPACES))
+ASCII_PRE_TOKEN = re.compile(with_spaces(PATTERN, ASCII_SPACES).replace(r"\p{L}\p{N}]", "A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"))
 
 
 def default_path() -> str:
