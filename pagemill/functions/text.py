@@ -213,3 +213,8 @@ def title_law_number(question: Column) -> Column:
 
 def needs_coverage(question: Column, kind: Column) -> Column:
     return F.when(kind.isin("case", "cross_case"), question.rlike(ci(COVERAGE))).when(kind == "statute", question.rlike(ci(MULTI_LAW))).otherwise(False)
+
+
+def numbers(text: Column) -> Column:
+    """Numbers in digits in their order, without thousands separators; digits inside words are none."""
+    return F.transform(all_matches(text, r"(?:^|[^\w.,])([-+]?\d[\d,]*(?:\.\d+)?)", 1), lambda x: F.replace(x, F.lit(","), F.lit("")))

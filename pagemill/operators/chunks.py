@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"\S+"
 PART, ARTICLE, SECTION = "part", "article", "section"
+TOKENS, SENTENCE_GAP = re.compile("[a-z0-9]+"), re.compile(r"(?<=[.!?])\s+")
 #: A clause's label at the start of a paragraph.
 CLAUSE = r"^(\([A-Za-z0-9]+\)|\d+[A-Za-z]?(?:[.)])?|[A-Za-z](?:[.)]))\s+\S"
 
@@ -99,3 +104,38 @@ def clause_groups(pages: DataFrame) -> DataFrame:
     out = rows.groupBy("doc_id", "page_number", "clause", "labels").agg(F.max("own").alias("own"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "para"))), lambda x: x["para"]), "\n\n").alias("text"))
     label = F.when(F.col("labels") == 0, F.col("clause").cast("string")).when(F.col("clause") == 0, "lead-in").otherwise(F.col("own"))
     return out.select("doc_id", "page_number", "clause", label.alias("label"), "text")
+
+
+def sentence_windows(text: str | None, size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first sentence, sentences, tokens) of windows that hold whole sentences up to `size` tokens, one at least.
+
+    The next window starts with the trailing sentences that reach `overlap` tokens, one even for an overlap of 0, but always
+    behind the start of the last.
+    """
+    sizes = [len(TOKENS.findall(s.lower())) for s in SENTENCE_GAP.split((text or "").strip()) if s.strip()]
+    out, start = [], 0
+    while start < len(sizes):
+        end, total = start + 1, sizes[start]
+        while end < len(sizes) and total + sizes[end] <= size:
+            total += sizes[end]
+            end += 1
+        out.append((start, end - start, total))
+        if end == len(sizes):
+            break
+        back, held = end - 1, sizes[end - 1]
+        while back > start and held < overlap:
+            back -= 1
+            held += sizes[back]
+        start = max(back, start + 1)
+    return out
+
+
+def sentence_chunks(pages: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(doc_id, page_number, piece, first_sentence, sentences, tokens): sentence windows of every page; NULL and blank texts have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, p, i, *w) for d, p, t in zip(b["doc_id"], b["page_number"], b["text"]) for i, w in enumerate(sentence_windows(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "piece", "first_sentence", "sentences", "tokens"])
+
+    return pages.select("doc_id", "page_number", "text").mapInPandas(run, "doc_id string, page_number int, piece int, first_sentence int, sentences int, tokens int")

@@ -346,3 +346,23 @@ def budgets(spark, sf_dir):
 def query_expansion(spark, sf_dir):
     """Up to three further wordings of every question."""
     return asked(spark, sf_dir).select("question_id", F.posexplode(T.query_expansions(F.col("q"))).alias("at", "wording"))
+
+
+@query()
+def sentence_chunks(spark, sf_dir):
+    """Windows of whole sentences of every page, 300 tokens with an overlap of 50."""
+    return C.sentence_chunks(pages(spark, sf_dir), 300, 50)
+
+
+@query(f"WITH {CHUNK} SELECT chunk_id, array_to_string(list_transform(regexp_extract_all(text, '(?:^|[^\\w.,])([-+]?\\d[\\d,]*(?:\\.\\d+)?)', 1), lambda x: replace(x, ',', '')), '|') AS numbers FROM chunk WHERE text IS NOT NULL")
+def number_candidates(spark, sf_dir):
+    """Numbers in digits of every chunk, without thousands separators."""
+    return chunks(spark, sf_dir).where("text IS NOT NULL").select("chunk_id", joined(T.numbers(F.col("text"))).alias("numbers"))
+
+
+@query(f"WITH {RES} SELECT result_id, coalesce(try_cast(answer.s AS DOUBLE), 0.0) AS score FROM res")
+def score_coercion(spark, sf_dir):
+    """Every answer's text as a score, 0 where it is none."""
+    from .functions.scores import coerced_score
+
+    return results(spark, sf_dir).select("result_id", coerced_score(F.col("answer.s")).alias("score"))

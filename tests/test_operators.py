@@ -171,3 +171,15 @@ def test_readers(spark, tmp_path):
 
     with pytest.raises(ValueError):
         readers.json_lines(spark, str(tmp_path / "c.jsonl"), T.StructType().add("id", "string"))
+
+
+def test_sentence_windows():
+    text = "one two three. four five! six? seven eight nine ten."
+    assert C.sentence_windows(text, 5, 0) == [(0, 2, 5), (1, 2, 3), (2, 2, 5)]
+    assert C.sentence_windows(text, 2, 1) == [(0, 1, 3), (1, 1, 2), (2, 1, 1), (3, 1, 4)]
+    assert C.sentence_windows(text, 100, 10) == [(0, 4, 10)] and C.sentence_windows(None, 5, 1) == [] and C.sentence_windows(" ", 5, 1) == []
+
+
+def test_sentence_chunks(spark):
+    pages = spark.createDataFrame([("d", 1, "a b. c d."), ("e", 1, None)], "doc_id string, page_number int, text string")
+    assert [tuple(r) for r in C.sentence_chunks(pages, 2, 0).collect()] == [("d", 1, 0, 0, 1, 2), ("d", 1, 1, 1, 1, 2)]
