@@ -36,6 +36,23 @@ def test_repaired(spark):
     assert got[2] is None and got[10] == CLEAN.format(0)
 
 
+def test_rivals_beyond_those_that_tasks_know(spark, monkeypatch):
+    page = "Notes\nthey saw that the\neat sat while the\nbat fell and went\non to see it"
+    clean = "Notes {}\nSee how the cat sat while dogs eat bread daily and how the hat fell while one bat flew away."
+    docs = spark.createDataFrame([(1, page, None)] + [(10 + i, clean.format(i), None) for i in range(60)], "doc_id bigint, text string, source string")
+    lines = repeated_lines(docs)[1]
+    for most in (S.AMBIGUOUS, 1, 0):
+        monkeypatch.setattr(S, "AMBIGUOUS", most)
+        assert {(r.line_no, r.form, r.best) for r in S.scan_findings(docs, lines).where("defect = 'misread'").collect()} == {(3, "eat", "cat"), (4, "bat", "hat")}
+
+
+def test_long_words(spark):
+    word = "donau" * 12 + "gesetz"
+    docs = spark.createDataFrame([(1, f"Notes\nthey saw the\n{word[:-1]}2 and\nwent on", None)] + [(10 + i, f"Notes {i}\nThis is the {word} again.", None) for i in range(40)], "doc_id bigint, text string, source string")
+    found = S.scan_findings(docs, repeated_lines(docs)[1]).where("defect = 'misread'").collect()
+    assert [(r.line_no, r.best) for r in found] == [(3, word)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert S.scan_findings(docs, repeated_lines(docs)[1]).count() == 0
