@@ -1,7 +1,7 @@
 """Broken pairs of question and answer: empty, refusing, copied, in another language, broken off.
 
 Refusals are found without a list of their wordings. Of each answer's first sentence the form is taken, in which names, numbers
-and the question's own words are masked. Forms are clustered by MinHash with verified similarity; an opening that recurs over
+and the question's own words are masked. Forms are clustered by the links of all similar pairs, which are found exactly by their rarest shingles; an opening that recurs over
 unrelated questions (questions that open differently, in the answer's language) declines to answer, as a real answer opens in
 the way its kind of question asks for. An opening that occurs once, or for one kind of question alone, can't be told so.
 The other tests look at the pair alone. Of several defects the first of this order is named: empty, refusal, copy, language,
@@ -14,10 +14,8 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +49,12 @@ FUNCTION = frozenset().union(*COMMON.values(), ["i", "we", "me", "my", "it", "yo
 OPENING, LEAST_PLAIN = 6, 4
 #: Kinds of questions that an opening of refusal recurs over, and the share that one of them may have at most.
 KINDS, TOP_SHARE = 2, 0.8
-#: Words of a shingle, similarity of a cluster, bands of the signature and rows of a band (0.997 of the pairs at 0.8 share one).
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 8, 3
+#: Words of a shingle, and the share of common shingles (of those that either has) from which two forms are linked.
+SHINGLE, SIMILAR = 5, 0.8
+#: Rows of shingles that a task hands on at once.
+SHINGLE_ROWS = 50_000
+#: Characters from which a form's shingles aren't remembered for its next pair.
+LONG_FORM = 2000
 FRAME = {"question", "answer", "a", "q", "pregunta", "respuesta", "réponse", "frage", "antwort", "سؤال", "السؤال", "جواب"}
 #: Answers of so many words may be complete without an end mark.
 SHORT = 6
@@ -192,41 +194,95 @@ def shingles(form: str) -> set[str]:
     return {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rng = np.random.default_rng(11)
-    a, c = rng.integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_remembered = lru_cache(1 << 14)(shingles)
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n, shingle: every shingle of each form, and how many it has."""
     for batch in batches:
-        forms, bands = [], []
-        for form in batch.column(0).to_pylist():
-            h = np.array([xxhash.xxh64_intdigest(x.encode()) for x in shingles(form)], np.uint64)
-            low = ((h[:, None] * (a | np.uint64(1)) + c) >> np.uint64(3)).min(0)
-            for k in range(BANDS):
-                forms.append(form)
-                bands.append(k.to_bytes(1, "big") + low[k * ROWS : (k + 1) * ROWS].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(bands, pa.binary())], names=["form", "band"])
+        rows: list[tuple[int, int, str]] = []
+        for key, form in zip(*(c.to_pylist() for c in batch.columns)):
+            found = shingles(form)
+            rows += [(key, len(found), x) for x in found]
+            if len(rows) >= SHINGLE_ROWS:
+                yield _shingle_batch(rows)
+                rows = []
+        yield _shingle_batch(rows)
+
+
+def _shingle_batch(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))], names=["id", "n", "shingle"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = shingles(x), shingles(y)
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            a, b = (_remembered(f) if len(f) < LONG_FORM else shingles(f) for f in (x, y))
             keep.append(len(a & b) >= SIMILAR * len(a | b))
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def form_clusters(forms: DataFrame) -> DataFrame:
-    """(form, leader): of each distinct form the first one by name that shares a band with it and is verified to be similar, or itself.
+def _verified(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose forms are similar."""
+    texts = pairs.join(keyed.toDF("a", "x"), "a").join(keyed.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return materialise(arrow_map(texts, _similar, "a bigint, b bigint, x string, y string").select("a", "b"))
+
 
-    Each form is compared with its bands' first forms alone, so a band of any size gives one pair a form.
+def _rarest(keyed: DataFrame) -> DataFrame:
+    """(shingle, id, n, at): of each form's n shingles, rarest first, as many as must hold one of any similar form's; at is the place.
+
+    Two forms that share none of them share fewer than SIMILAR of their shingles. Shingles of one form alone take a place but link nothing.
     """
-    bands = materialise(arrow_map(forms, _bands, "form string, band binary"))
-    first = bands.groupBy("band").agg(F.min("form").alias("leader"))
-    pairs = arrow_map(bands.join(first, "band").where("form <> leader").select("form", "leader").distinct(), _similar, "form string, leader string")
-    near = materialise(pairs.groupBy("form").agg(F.min("leader").alias("leader")))
-    next_one = near.toDF("leader", "beyond")
-    near = near.join(maybe_broadcast(next_one, 200), "leader", "left").select("form", F.coalesce("beyond", "leader").alias("leader"))
-    return forms.join(maybe_broadcast(near, 200), "form", "left").select("form", F.coalesce("leader", "form").alias("leader"))
+    every = materialise(arrow_map(keyed, _shingled, "id bigint, n bigint, shingle string"))
+    shared = every.join(every.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1"), "shingle")
+    own = Window.partitionBy("id")
+    at = F.row_number().over(own.orderBy("uses", "shingle")) + F.col("n") - F.count("*").over(own)
+    return shared.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1).select("shingle", "id", "n", "at")
+
+
+def form_links(keyed: DataFrame) -> DataFrame:
+    """(a, b) of keyed(id, form): verified pairs that link all forms which similar pairs link, though not every such pair.
+
+    The forms of a shingle are compared with its first one; then all those pairs whose forms this hasn't linked yet.
+    """
+    rare = materialise(_rarest(keyed))
+    first = rare.groupBy("shingle").agg(F.min("id").alias("a"))
+    star = _verified(rare.join(first, "shingle").where("id <> a").select("a", F.col("id").alias("b")).distinct(), keyed)
+    near = star.groupBy("b").agg(F.min("a").alias("a"))
+    near = near.join(near.toDF("a", "beyond"), "a", "left").select(F.col("b").alias("id"), F.coalesce("beyond", "a").alias("label"))
+    rare = materialise(rare.join(near, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    x, y = (rare.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at", "label"))) for k in "xy")
+    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1  # common shingles, if this is the first one
+    pairs = x.join(y, "shingle").where((F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")))
+    pairs = pairs.where(most * (1 + SIMILAR) >= SIMILAR * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    return star.unionByName(_verified(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), keyed))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, label): of each id in links(a, b) the least one that any chain of links leads to.
+
+    In each round every id is taken for the least beside it, and that for the least beside it; links between what is left go on.
+    """
+    links = materialise(links.where("a <> b").select("a", "b").distinct())
+    labels = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("label", F.col("id"))
+    while not links.isEmpty():
+        least = materialise(links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), "a").alias("to")))
+        for _ in range(2):
+            least = materialise(least.join(least.toDF("to", "beyond"), "to").select("id", F.col("beyond").alias("to")))
+        labels = materialise(labels.join(least.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        ends = links.join(least.toDF("a", "c"), "a").join(least.toDF("b", "d"), "b").where("c <> d")
+        links = materialise(ends.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+    return labels
+
+
+def form_clusters(forms: DataFrame) -> DataFrame:
+    """(form, leader): of each distinct form the first one by name that a chain of similar forms leads to, or itself."""
+    keyed = materialise(forms.select(F.monotonically_increasing_id().alias("id"), "form"))
+    labels = keyed.join(components(form_links(keyed)), "id", "left").select("form", F.coalesce("label", "id").alias("label"))
+    leaders = labels.groupBy("label").agg(F.min("form").alias("leader"))
+    return labels.join(leaders, "label").select("form", "leader")
 
 
 def refusal_forms(judged: DataFrame) -> DataFrame:

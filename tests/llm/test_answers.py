@@ -46,3 +46,42 @@ def test_clusters_are_verified(spark):
     forms = spark.createDataFrame([(base,), (near,), (far,), ("other words",)], "form string")
     got = {r.form: r.leader for r in A.form_clusters(forms).collect()}
     assert got[base] == got[near] and got[far] == far and got["other words"] == "other words"
+
+
+def test_clusters_hold_all_that_similar_pairs_link(spark):
+    words = [f"w{i}" for i in range(30)]
+    chain = [" ".join(words[k:] + [f"v{i}" for i in range(k)]) for k in range(0, 12, 2)]  # each is similar to the next alone
+    hub = [" ".join([f"h{i}" for i in range(9)] + [f"{x}{i}" for i in range(40)]) for x in "abc"]  # alike in their first shingles only
+    hub += [h + " end" for h in hub]
+    forms = chain + hub + ["", "w1 w2", "w1 w2 w3 w4 w5 w6"]
+    got = {r.form: r.leader for r in A.form_clusters(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
+
+    leader = {f: f for f in forms}
+    for _ in forms:
+        for x in forms:
+            for y in forms:
+                a, b = A.shingles(x), A.shingles(y)
+                if len(a & b) >= A.SIMILAR * len(a | b):
+                    leader[x] = min(leader[x], leader[y])
+    assert got == leader and len({leader[x] for x in chain}) == 1 and len({leader[x] for x in hub}) == 3
+
+
+def test_clusters_against_all_pairs(spark):
+    import random
+
+    pick = random.Random(3)
+    base = [[f"w{pick.randrange(60)}" for _ in range(pick.randrange(4, 40))] for _ in range(12)]
+    forms = set()
+    for words in base * 12:
+        own = list(words)
+        for _ in range(pick.randrange(3)):
+            own[pick.choice((0, -1, pick.randrange(len(own))))] = f"v{pick.randrange(9)}"
+        forms.add(" ".join(own[: len(own) - pick.randrange(2)]))
+    forms = sorted(forms)
+    leader = {f: f for f in forms}
+    near = [(x, y) for x in forms for y in forms if len(A.shingles(x) & A.shingles(y)) >= A.SIMILAR * len(A.shingles(x) | A.shingles(y))]
+    for _ in range(20):
+        for x, y in near:
+            leader[x] = min(leader[x], leader[y])
+    got = {r.form: r.leader for r in A.form_clusters(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
+    assert got == leader and 12 < len(set(leader.values())) < len(forms)
